@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, neardup, rules
+from . import contamination, lines, mixing, neardup, rules
 
 QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op6_quality_rules": rules.op6_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
