@@ -9,7 +9,7 @@ from . import vector
 from .common import bounded_batches, cut, table
 
 #: Labellers of each target. A vote is 1 for bad, 0 for good, 2 for none.
-TARGETS = {"quality": ("plain", "letters", "symbols", "capitals", "bangs", "variety", "word_length", "lines"), "toxic": ("insults_a", "insults_b", "stems")}
+TARGETS = {"quality": ("plain", "letters", "symbols", "capitals", "bangs", "variety", "word_length", "lines"), "toxic": ("any_insult", "insults_a", "insults_b", "stems")}
 #: Two lists of insults that overlap, for two labellers.
 INSULTS_A = ("idiot", "idiots", "moron", "morons", "scum", "loser", "losers", "trash", "pathetic", "stupid", "worthless", "bastard", "imbecile", "dumbass")
 INSULTS_B = ("idiot", "moron", "scum", "loser", "clown", "disgusting", "pathetic", "stupid", "worthless", "filth", "vermin", "retard", "trash", "freak")
@@ -115,8 +115,9 @@ def _worker(stems, features: bool):
             "plain": np.where(np.any(list(odd.values()), axis=0), 1, np.where(plain, 0, 2)).astype(np.int8),
             "letters": vote(m["letters"], lambda x: x < 0.9, lambda x: x > 0.95),
             **{k: np.where(x, 1, 2).astype(np.int8) for k, x in odd.items()},
-            **{k: any_of(isin(h, v)).astype(np.int8) for k, v in lists.items()}, "stems": any_of(isin(pre, stems)).astype(np.int8),
+            **{k: np.where(any_of(isin(h, v)), 1, 2).astype(np.int8) for k, v in lists.items()}, "stems": np.where(any_of(isin(pre, stems)), 1, 2).astype(np.int8),
         }
+        votes["any_insult"] = np.any([votes[k] == 1 for k in ("insults_a", "insults_b", "stems")], axis=0).astype(np.int8)
         codes = {t: [("".join(map(str, r))) for r in np.stack([votes[k] for k in names], axis=1)] for t, names in TARGETS.items()}
         return s, e, h, pre, owner, m, codes
 
