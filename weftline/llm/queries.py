@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, licenses, lines, mixing, neardup, rules, urls, weaklabel
+from . import chat, contamination, licenses, lines, lm, mixing, neardup, rules, urls, weaklabel
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filter": urls.op7_url_filter,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_decontaminate": contamination.op9_decontaminate,
+    "op10_lm_score": lm.op10_lm_score,
 }
 
 SQL = {

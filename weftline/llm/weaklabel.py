@@ -104,7 +104,7 @@ def _worker(stems, features: bool):
         m["variety"] = _variety(vector.shingles(h, first, 3), n)
         m["lines"] = _repeated_lines(buf, at)
         owner = np.repeat(np.arange(n), np.diff(first))
-        pre = _prefixes(buf, s, e)
+        pre = np.stack([_prefixes(buf, s, e), _prefixes(buf, s, e, 7)])
         any_of = lambda hit: np.bincount(owner[hit], minlength=n) > 0
         odd = {
             "symbols": m["symbols"] > 0.01, "capitals": m["capitals"] > 0.5, "bangs": m["bangs"] > 0.2, "variety": m["variety"] < 0.5,
@@ -115,7 +115,7 @@ def _worker(stems, features: bool):
             "plain": np.where(np.any(list(odd.values()), axis=0), 1, np.where(plain, 0, 2)).astype(np.int8),
             "letters": vote(m["letters"], lambda x: x < 0.9, lambda x: x > 0.95),
             **{k: np.where(x, 1, 2).astype(np.int8) for k, x in odd.items()},
-            **{k: np.where(any_of(isin(h, v)), 1, 2).astype(np.int8) for k, v in lists.items()}, "stems": np.where(any_of(isin(pre, stems)), 1, 2).astype(np.int8),
+            **{k: np.where(any_of(isin(h, v)), 1, 2).astype(np.int8) for k, v in lists.items()}, "stems": np.where(any_of(isin(pre[0], stems) | isin(pre[1], stems)), 1, 2).astype(np.int8),
         }
         votes["any_insult"] = np.any([votes[k] == 1 for k in ("insults_a", "insults_b", "stems")], axis=0).astype(np.int8)
         codes = {t: [("".join(map(str, r))) for r in np.stack([votes[k] for k in names], axis=1)] for t, names in TARGETS.items()}
@@ -129,8 +129,8 @@ def _worker(stems, features: bool):
 
     def hashed(owner, h, pre, m, n):
         so, sv = surface(m, n)
-        o = np.concatenate([owner, owner, so])
-        v = np.concatenate([vector.mix(h + np.uint64(1)), vector.mix(pre + np.uint64(2)), sv]) >> np.uint64(64 - BITS)
+        o = np.concatenate([owner, owner, owner, so])
+        v = np.concatenate([vector.mix(h + np.uint64(1)), vector.mix(pre[0] + np.uint64(2)), vector.mix(pre[1] + np.uint64(3)), sv]) >> np.uint64(64 - BITS)
         return vector.distinct(o, v)
 
     return read, hashed
@@ -169,7 +169,7 @@ def learn_stems(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> li
             for lo, hi in vector.groups(at):
                 s, e, _ = vector.words(buf, at[lo : hi + 1])
                 owner = np.repeat(np.arange(hi - lo), np.diff(vector.spans(at[lo : hi + 1], s)))
-                o, v = vector.distinct(owner, _prefixes(buf, s, e))
+                o, v = vector.distinct(np.r_[owner, owner], np.r_[_prefixes(buf, s, e), _prefixes(buf, s, e, 7)])
                 key, where = np.unique(v, return_inverse=True)
                 bad = np.bincount(where, weights=toxic[lo:hi][o], minlength=len(key)).astype(np.int64)
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(bad), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64))], ["stem", "bad", "n"])
