@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph
+from .plans import graph, ordered, relational
 
-_MODULES = (graph,)
+_MODULES = (graph, relational, ordered)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
