@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut, table
+from .common import SPACE, WORD, cut, small_enough, table
 
 #: Of the documents of a stratum that are good, at most this share may be rejected by all rules together, with this
 #: probability of error over all rules and strata together.
@@ -165,12 +165,18 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(metrics, limits).select("doc_id", *_COUNTS, "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts are measured twice and never shuffled."""
-    narrow = docs.select("doc_id", "lang", "text")
-    limits = cut(learn(measured(narrow).drop("text"), labels))
-    full = measured(docs.select(F.struct("*").alias("_w_row"), F.col("text"), F.col("lang")))
-    return judge(full, limits).where("kept").select("_w_row.*")
+def filter_documents(docs: DataFrame, labels: DataFrame, broadcast: int = 1_000_000) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    Measured once, into a narrow written table; rejected rows are told by a 64-bit hash of id, stratum and text, so rows
+    that share an id are judged each by its own text. Their hashes are broadcast behind a count, else joined by shuffle.
+    """
+    mark = F.xxhash64("doc_id", "lang", "text")
+    metrics = cut(measured(docs.select("doc_id", "lang", "text", mark.alias("_w_mark"))).drop("text"))
+    limits = cut(learn(metrics, labels))
+    gone = cut(judge(metrics, limits).where("NOT kept").select("_w_mark").distinct())
+    gone = F.broadcast(gone) if small_enough(gone, broadcast) else gone
+    return docs.withColumn("_w_own", mark).join(gone, F.col("_w_own") == F.col("_w_mark"), "left_anti").drop("_w_own")
 
 
 def _rule_sql() -> str:
