@@ -105,6 +105,17 @@ def test_large_buckets_lose_no_link(spark):
     assert sorted(map(tuple, neardup.components(docs, bucket=1).collect())) == whole
 
 
+def test_a_large_bucket_of_lines_loses_no_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # one key for all lines; 40 pairs of near lines that resemble no other line
+    rows = [(2 * i + j, " ".join(f"{zlib.crc32(f'{i} {k}'.encode()):08x}" for k in range(15)) + " end" * j) for i in range(40) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines, "band_keys", lambda line: F.array(F.lit(1).cast("long")))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, counts=True).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
+
+
 def test_contamination_in_blocks(spark):
     docs, items = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     one, many = (sorted(map(tuple, contamination.search(docs.select("doc_id", "text"), items, block=b).drop("text").collect())) for b in (10**6, 300))
