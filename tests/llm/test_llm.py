@@ -116,6 +116,21 @@ def test_a_large_bucket_of_lines_loses_no_link(spark, monkeypatch):
     assert got == {i: i % 2 for i, _ in rows}
 
 
+def test_near_lines_of_every_length_are_linked(spark):
+    word = lambda i, k, n=6: f"{zlib.crc32(f'{i} {k}'.encode()):08x}"[:n]
+    rows = []
+    for i in range(300):
+        line = " ".join(word(i, k, 4 + (i + k) % 5) for k in range(1 + i % 15))
+        rows += [(2 * i, line), (2 * i + 1, line + ".")]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), counts=True).collect()}
+    runs = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    near = [a[0] // 2 for a, b in zip(rows[::2], rows[1::2], strict=True) if len(runs(a[1]) & runs(b[1])) >= 0.8 * len(runs(a[1]) | runs(b[1]))]
+    assert len(near) > 280
+    for words in range(1, 16):  # recall by length
+        own = [got[2 * i + 1] for i in near if i % 15 + 1 == words]
+        assert sum(own) >= 0.99 * len(own)
+
+
 def test_contamination_in_blocks(spark):
     docs, items = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "benchmark"))
     one, many = (sorted(map(tuple, contamination.search(docs.select("doc_id", "text"), items, block=b).drop("text").collect())) for b in (10**6, 300))
