@@ -161,6 +161,16 @@ def test_windows_score_each_id_once():
         assert sorted(target[places]) == list(range(1, n))
 
 
+def test_equal_texts_score_equally(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + 7 * i + k, "a short line of text") for i, k in enumerate(range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm.score(d, steps=20, training=30).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    same = [one[i] for i, t in rows if t == "a short line of text"]
+    assert math.isclose(max(same), min(same), rel_tol=1e-4)
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)
+
+
 def test_attention_is_causal_and_normalised():
     model = lm.Model(np.ones(lm._VOCABULARY))
     ids = np.random.default_rng(0).integers(0, 5000, (1, lm.WINDOW))
