@@ -161,6 +161,12 @@ def test_windows_score_each_id_once():
         assert sorted(target[places]) == list(range(1, n))
 
 
+def test_scores_do_not_depend_on_the_words_held(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    all_held, few = ({r.doc_id: r for r in lm.score(docs, steps=3, heavy=k).collect()} for k in (10**6, 500))
+    assert all(math.isclose(all_held[i].score, few[i].score, rel_tol=1e-6) and all_held[i].n_known == few[i].n_known for i in all_held)
+
+
 def test_equal_texts_score_equally(spark):
     texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(40).collect()]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + 7 * i + k, "a short line of text") for i, k in enumerate(range(20))]
