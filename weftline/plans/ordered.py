@@ -23,7 +23,6 @@ _b("group_by_header", "SELECT conv_id, entry, count(*) AS n_rows, sum(length(tex
 _b("state_machine_records", "SELECT conv_id, entry, max(CASE WHEN role = 'user' THEN turn END) AS header_turn, count_if(role = 'assistant') AS n_answers, md5(listagg(text, ' ') WITHIN GROUP (ORDER BY turn)) AS body FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entry FROM {conversations}) WHERE entry > 0 GROUP BY conv_id, entry",
    "SELECT conv_id, CAST(entry AS BIGINT) AS entry, max(CASE WHEN role = 'user' THEN turn END) AS header_turn, count_if(role = 'assistant') AS n_answers, md5(string_agg(text, ' ' ORDER BY turn)) AS body FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entry FROM conversations) WHERE entry > 0 GROUP BY conv_id, entry")
 _b("context_features", "SELECT conv_id, turn, role, coalesce(lag(role) OVER w, 'BOS') AS prev_role, coalesce(lead(role) OVER w, 'EOS') AS next_role, right(text, 3) AS suffix, coalesce(left(lead(text) OVER w, 3), '') AS next_prefix FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-_b("average_rank", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2e0 AS avg_rank FROM {part}")
 _b("first_occurrence_growth", "SELECT g, count_if(first_pos <= g) AS vocabulary FROM (SELECT l_partkey, min(l_orderkey) AS first_pos FROM {lineitem} GROUP BY l_partkey) CROSS JOIN (SELECT explode(array(100, 300, 1000, 3000, 10000)) AS g) GROUP BY g",
    "SELECT g, count_if(first_pos <= g) AS vocabulary FROM (SELECT l_partkey, min(l_orderkey) AS first_pos FROM lineitem GROUP BY l_partkey) CROSS JOIN (SELECT unnest([100, 300, 1000, 3000, 10000]) AS g) GROUP BY g")
 _b("session_windows", "SELECT user_id, session_window.start AS start_ts, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '30 minutes')",

@@ -148,7 +148,10 @@ def tree_levels(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame
 
 def terms(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(field, term, n): how often each term stands in each field; a field is an array of terms a row."""
-    every = F.explode(F.flatten(F.array(*(F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda t, k=k: F.struct(F.lit(k).alias("field"), t.alias("term"))) for k, v in fields.items()))))
+    def tagged(name: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term")))
+
+    every = F.explode(F.flatten(F.array(*(tagged(k, v) for k, v in fields.items()))))
     return rows.select(every.alias("x")).where("x.term <> ''").groupBy("x.field", "x.term").agg(F.count("*").alias("n"))
 
 
