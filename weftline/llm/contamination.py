@@ -13,10 +13,10 @@ from .common import bounded_batches, cut, table
 
 #: Words of a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, SHARE = 5, 0.8
-#: Bins of a signature for each shingle of the largest document of a size class, as a power of two: 8.
-BIN_BITS = 3
+#: A class of sizes up to 2**p has signatures of 2**(p + BIN_BITS) bins: one bin for one to two shingles of a document.
+BIN_BITS = -1
 #: Items of fewer shingles than this are searched by all their shingles, not by a signature.
-SHORT = 4
+SHORT = 16
 #: Shingles of items that one search broadcasts (12 bytes each, some 50 MB); more items are searched in blocks.
 BLOCK = 4_000_000
 
@@ -44,37 +44,38 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 
 def _index(rows) -> dict:
-    """Of one block of items: sorted shingles with their items, and for each size class those of the items' signatures."""
+    """Of one block of items, an Arrow table: sorted shingles with their items, as plain arrays."""
     import numpy as np
 
-    pairs = np.array([(r["item"], r["shingle"]) for r in rows], dtype=np.int64).reshape(-1, 2)
-    ids, item, sizes = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    value = np.ascontiguousarray(pairs[:, 1]).view(np.uint64)
+    ids, item, sizes = np.unique(rows["item"].to_numpy(), return_inverse=True, return_counts=True)
+    value = np.ascontiguousarray(rows["shingle"].to_numpy()).view(np.uint64)
     order = np.lexsort((item, value))
     return {"ids": ids, "sizes": sizes, "value": value[order], "item": item[order]}
 
 
+def _bin(value, bits: int):
+    """The bin of each hash: its first bits."""
+    import numpy as np
+
+    return (value >> np.uint64(1)) >> np.uint64(63 - bits)
+
+
 def _signature_keys(index: dict, bits: int):
     """Shingles that are the least of their bin in some item's signature of 2**bits bins, and all of short items."""
     import numpy as np
 
     order = np.lexsort((index["value"], index["item"]))
     value, item = index["value"][order], index["item"][order]
-    place = value >> np.uint64(64 - bits)
+    place = _bin(value, bits)
     least = np.ones(len(value), bool)
     least[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1])
     return np.unique(value[least | (index["sizes"][item] < SHORT)])
 
 
-def _search(index: dict, share: float, k: int, text_at: int, names: list[str]):
+def _search(shared, share: float, k: int, text_at: int, names: list[str]):
     import numpy as np
     import pyarrow as pa
 
-    bits_of: dict[int, object] = {}
-    uniq, first = np.unique(index["value"], return_index=True)
-    first = np.append(first, len(index["value"]))
-    short = np.unique(index["value"][index["sizes"][index["item"]] < SHORT])
-
     def found(values, keys):
         if not len(keys):
             return np.zeros(len(values), bool)
@@ -82,17 +83,17 @@ def _search(index: dict, share: float, k: int, text_at: int, names: list[str]):
         at[at == len(keys)] = 0
         return keys[at] == values
 
-    def candidates(owner, value, sizes):
+    def candidates(owner, value, sizes, index, short, bits_of):
         """Texts whose signature meets that of an item, class by class: a class holds sizes from 2**(p-1) + 1 to 2**p."""
         out = np.zeros(len(sizes), bool)
         level = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
         for p in np.unique(level[sizes > 0]):
-            bits = int(p) + BIN_BITS
+            bits = max(int(p) + BIN_BITS, 0)
             if bits not in bits_of:
                 bits_of[bits] = _signature_keys(index, bits)
             mine = level[owner] == p
             o, v = owner[mine], value[mine]
-            place = v >> np.uint64(64 - bits)  # values of a text come sorted: the first of a bin is its minimum
+            place = _bin(v, bits)  # values of a text come sorted: the first of a bin is its minimum
             least = np.ones(len(v), bool)
             least[1:] = (o[1:] != o[:-1]) | (place[1:] != place[:-1])
             out[o[least][found(v[least], bits_of[bits])]] = True
@@ -100,6 +101,10 @@ def _search(index: dict, share: float, k: int, text_at: int, names: list[str]):
         return out
 
     def run(batches):
+        index, bits_of = shared.value, {}
+        uniq, first = np.unique(index["value"], return_index=True)
+        first = np.append(first, len(index["value"]))
+        short = np.unique(index["value"][index["sizes"][index["item"]] < SHORT])
         for batch in batches:
             n = batch.num_rows
             n_shingles, n_items = np.zeros(n, np.int64), batch.column(names.index("n_items")).to_numpy(zero_copy_only=False).copy()
@@ -111,7 +116,7 @@ def _search(index: dict, share: float, k: int, text_at: int, names: list[str]):
                 owner, value = vector.distinct(*vector.shingles(h, vector.spans(at[lo : hi + 1], s), k))
                 sizes = np.bincount(owner, minlength=hi - lo)
                 n_shingles[lo:hi] = sizes
-                maybe = candidates(owner, value, sizes)
+                maybe = candidates(owner, value, sizes, index, short, bits_of)
                 if not maybe.any():
                     continue
                 held = maybe[owner]  # the exact containment, on all shingles of the candidates
@@ -140,10 +145,11 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", share: flo
     """Adds n_shingles, n_items (contained), item_id and containment of the best, and kept (none is contained).
 
     Sets are those of distinct lower-cased k-word shingles; a text of fewer words is one shingle. Documents fall in
-    classes of size, and a class has signatures of eight bins for each shingle of its largest member: one permutation,
-    the least hash of each bin. As so few shingles of a long document share a bin, an item of a dozen shingles that it
-    holds meets it in some bin; a document that meets an item in its class's signature is verified on full sets. An
-    item of m shingles is missed with a probability under 0.06 ** (0.8 * m); items of under four are always verified.
+    classes of size, and a class has signatures with half as many bins as its largest member has shingles: one
+    permutation, the least hash of each bin, so a signature is a sketch of under two thirds of a document's set. A shingle
+    that document and item share is in both signatures with a chance of 0.43 or more, so an item of m shingles that is
+    held to 0.8 is missed with a probability under 0.57 ** (0.8 * m), 8e-4 at 16; items of under 16 are searched by all
+    their shingles. A document that meets an item in its class's signature is verified on full sets.
 
     The items are the stated query set. Up to BLOCK of their shingles are broadcast; more are searched in blocks of
     that size, one after the other on the same rows. No document is shuffled. Null and empty texts hold nothing and
@@ -163,7 +169,8 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", share: flo
     schema = T.StructType([*(docs.schema[c] for c in own), *_FOUND.fields])
     for b in range(blocks):
         part = shingled if blocks == 1 else shingled.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        out = out.mapInArrow(_search(_index(part.collect()), share, k, schema.names.index(text_col), schema.names), schema)
+        shared = spark.sparkContext.broadcast(_index(part.toArrow()))
+        out = out.mapInArrow(_search(shared, share, k, schema.names.index(text_col), schema.names), schema)
     return out
 
 
@@ -175,6 +182,7 @@ def filter_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """search over all documents for all benchmark items; nulls, ties and empty tables as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(docs, table(spark, sf_dir, "benchmark")).drop("text").withColumn("contaminated", ~F.col("kept"))
 

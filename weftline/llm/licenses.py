@@ -15,12 +15,28 @@ _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTI
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+#: Digests of the canonical form of long licences whose texts are too long to keep here, with and without what follows their terms.
+LONG: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "27659ec5818c8f3ad2616507f59cece1"), ("Apache-2.0", "c423529a1bffe64131469f4691c3143b"), ("CC0-1.0", "d2a76f70ce19809695b7fb93c6241c23"),
+    ("GFDL-1.2-only", "fc8fd4dca9351a1b1ba045c2a7d3d70f"), ("GFDL-1.3-only", "3564867804d3e20f9506651fedbca0e9"), ("GPL-1.0-only", "5b0d5de72de699a0ba747b00c760bb5a"),
+    ("GPL-1.0-only", "738cc3b112640d95d4cd79a58967ecea"), ("GPL-2.0-only", "68380dbeadb093b94ecf563db7312db7"), ("GPL-2.0-only", "5e39ace6e62f5a7fe9c17b4da986ad8c"),
+    ("GPL-3.0-only", "444f95dc767ede978b60cfb20fbd0bca"), ("GPL-3.0-only", "5eaa767cc0a56c87c3852144458a3bf1"), ("LGPL-2.0-only", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.0-only", "74cf7fcef3b29a39165a795b2cad3a3a"), ("LGPL-2.1-only", "3054b3781b1af43f906dc753acad15ee"), ("LGPL-2.1-only", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-3.0-only", "b31b7335bc37919e8cdd79154e04d88d"), ("MPL-1.1", "c5fe39d916269cd253fd7c01e28b62c5"), ("MPL-2.0", "35fb4d2625087f7fd780039aa7b4ebb2"),
+    ("Artistic-1.0-Perl", "01297679267ad921516667ccd889865e"),
+)
 #: Texts and notices by SPDX identifier; a key may have several.
 KNOWN: list[tuple[str, str]] = [
     ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("MIT", _MIT),
     ("ISC", f"ISC License\n{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AS_IS}"),
     ("ISC", f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AS_IS}"),
     ("0BSD", f"{_GRANT}.\n{_AS_IS}"),
+    *(("BSD-2-Clause", head + _BSD.format("")) for head in ("", "BSD 2-Clause License\n")), *(("BSD-3-Clause", head + _BSD.format(_BSD_3)) for head in ("", "BSD 3-Clause License\n")),
     *((spdx, f"{verb} under {the}{name}{end}") for spdx, the, name in (
         ("MIT", "the ", "MIT License"), ("Apache-2.0", "the ", "Apache License, Version 2.0"), ("GPL-3.0-only", "the ", "GNU General Public License v3.0"), ("GPL-3.0-only", "the ", "GNU General Public License, version 3"), ("GPL-2.0-only", "the ", "GNU General Public License, version 2"),
         ("BSD-3-Clause", "the ", "BSD 3-Clause License"), ("MPL-2.0", "the ", "Mozilla Public License 2.0"), ("CC0-1.0", "", "CC0 1.0"),
@@ -29,7 +45,7 @@ KNOWN: list[tuple[str, str]] = [
     *((spdx, f"SPDX-License-Identifier: {spdx}") for spdx in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "ISC", "MPL-2.0", "CC-BY-4.0", "CC0-1.0")),
 ]
 #: Lines that name a holder of rights, and spellings that count as equal, in order.
-_COPYRIGHT = r"(?m)^[ \t]*(?:(?:copyright|\(c\)|©|all rights reserved)[^\n]*)$"
+_COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b[^\n]*(?:\d{4}|\(c\)|©|<year>|\[year\]|\[yyyy\])[^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)$"
 _SPELLINGS = ((r"\blicence", "license"), (r"\b(organ|author|recogn|util|initial)is(e|ed|es|ation|ing)\b", r"\1iz\2"), (r"\bsub license", "sublicense"), (r"\bnon infringement", "noninfringement"), (r"\bwhilst\b", "while"), (r"\backnowledgement", "acknowledgment"))
 _OTHER = r"[^\p{L}\p{N}]+"
 
@@ -58,7 +74,7 @@ def canonical_python(text: str) -> str:
 
 
 def known_digests(known=KNOWN) -> dict[str, str]:
-    return {hashlib.md5(canonical_python(text).encode()).hexdigest(): spdx for spdx, text in known}
+    return {digest: spdx for spdx, digest in LONG} | {hashlib.md5(canonical_python(text).encode()).hexdigest(): spdx for spdx, text in known}
 
 
 def scan(docs: DataFrame, text_col: str = "text", known=KNOWN) -> DataFrame:
@@ -81,6 +97,7 @@ def scan(docs: DataFrame, text_col: str = "text", known=KNOWN) -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """scan over all documents; nulls, empty texts and repeated rows as there."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license", "notices")
 
 

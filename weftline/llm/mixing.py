@@ -102,6 +102,7 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mix over all documents, sorted by the first reading; nulls, ties and empty tables as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     return mix(docs).select(*cols, F.round("first_position", 9).alias("first_position"), F.round("second_position", 9).alias("second_position")).repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id")

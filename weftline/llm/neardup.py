@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vector
@@ -15,7 +15,7 @@ PERCENT, BANDS, ROWS = 80, 30, 5
 MANTISSA = 10
 #: A pair goes to verification if its estimate is at least this: over five standard errors below the threshold.
 ESTIMATE = PERCENT / 100 - 0.17
-#: Members of a bucket up to which its pairs are made by a join; larger ones go block by block of this size.
+#: Members of a bucket up to which its pairs are made by a join; members of larger ones are joined by rare shingles.
 BUCKET = 64
 #: Most rows of ids that are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST = 1_000_000
@@ -144,32 +144,40 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return out
 
 
-def _blocks(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of large buckets, (key, id, part, size): cells of two blocks each, compared in numpy by register.
+def _shingle_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(id, shingle): the distinct shingles of (doc_id, text), one row each."""
 
-    Cells of all buckets are spread over the cluster; a cell sends on only pairs between components that pass the
-    estimate, so what follows stays in proportion to the links.
-    """
-    n = F.ceil(F.col("size") / BUCKET).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    cells = rows.select("key", "id", "part", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    cells = cells.select("key", "id", "part", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cells = cells.join(reps.select("id", "n", "registers"), "id")
+    def run(batches):
+        import pyarrow as pa
 
-    def run(frame):
-        import numpy as np
-        import pandas as pd
+        for batch in batches:
+            buf, at = vector.text_buffers(batch.column(1))
+            for lo, hi in vector.groups(at):
+                s, _, h = vector.words(buf, at[lo : hi + 1])
+                owner, value = vector.distinct(*vector.shingles(h, vector.spans(at[lo : hi + 1], s), k))
+                yield pa.record_batch([batch.column(0).take(pa.array(owner + lo)), pa.array(value.view("int64"))], ["id", "shingle"])
+
+    return docs.mapInArrow(run, "id long, shingle long").distinct()
 
-        regs = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
-        ids, part, size = (frame[c].to_numpy() for c in ("id", "part", "n"))
-        found = []
-        for x in range(len(frame)):
-            near = (regs == regs[x]).mean(axis=1) >= ESTIMATE
-            near &= (ids < ids[x]) & (part != part[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-            found += [(ids[x], y) for y in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+def _prefixed(large: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of members (id, part) of large buckets, the pairs of different parts that can be similar enough.
+
+    Of two sets with the similarity asked for, sorted by one order, the first n - ceil(n * percent / 100) + 1 of each
+    have one in common. The order here is rarest first, so what many documents share makes no pairs; none is lost.
+    """
+    few = F.broadcast(large) if small_enough(large, BROADCAST) else large
+    rows = cut(_shingle_rows(docs.join(few, docs["doc_id"] == few["id"], "left_semi").select("doc_id", "text"), k))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle")
+    ranked = rows.join(often, "shingle", "left").withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    first = ranked.where(f"place <= n - ceil(n * {percent} / 100) + 1 AND often > 1").join(large, "id").select("id", "part", "n", "shingle")
+    mixed = first.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
+    first = cut(first.join(mixed, "shingle", "left_semi"))
+    both = first.alias("x").join(first.alias("y"), F.expr(f"x.shingle = y.shingle AND x.id > y.id AND x.part <> y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    out = cut(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    release(rows, first)
+    return out
 
 
 def components(docs: DataFrame, k: int = 2, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
@@ -180,7 +188,8 @@ def components(docs: DataFrame, k: int = 2, percent: int = PERCENT, bucket: int
        that pass the size bound and the corrected estimate are verified on full sets, and union-find contracts them.
        Groups of thousands of near copies end here as one component, with a pair or two for each member and band.
     3. Members of one bucket that are in different components still are tried against each other, so no link is lost
-       for want of the right centre: small buckets by a join, large ones by blocks. Then union-find runs again.
+       for want of the right centre: small buckets all with all, large ones where two share one of their rarest
+       shingles, which every link does. Then union-find runs again.
 
     Null ids are linked with nothing (component null, kept). Rows that share an id are one node, with the links of all
     their texts. Null, empty and blank texts have an empty set and no links. An empty table gives an empty one.
@@ -203,33 +212,43 @@ def components(docs: DataFrame, k: int = 2, percent: int = PERCENT, bucket: int
     placed = shared.select("key", "id").join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p < q")
     left = cut(placed.join(apart.select("key", "size"), "key"))
-    small, large = left.where(F.col("size") <= bucket), left.where(F.col("size") > bucket)
+    small, large = left.where(F.col("size") <= bucket), cut(left.where(F.col("size") > bucket).select("id", "part").distinct())
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.expr("x.key = y.key AND x.id > y.id AND x.part <> y.part")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = pairs.unionByName(_blocks(large, reps, percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_prefixed(large, docs, k, percent))
+    pairs = cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
     more = _links(pairs, reps, docs, k, percent)
     copies = full.join(reps.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id"), ["set_a", "set_b", "n_shingles"])
     same = copies.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     final = cut(connected_components(links.unionByName(more).unionByName(same)))
     out = sigs.join(final, F.col("doc_id") == F.col("node"), "left")
     root = F.coalesce("component", "doc_id")
-    release(first, shared, stars, left, links, more, reps)
+    release(first, shared, stars, left, large, pairs, links, more, reps)
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """components over all documents; nulls, repeated ids and empty tables as there."""
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def filter_documents(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with its own columns.
 
-    A row that repeats an id which is kept stays, unless it is equal in every column: such rows are one.
+    Rows that share an id and a text are one document: one of them stays. Rows that share an id with different texts go
+    or stay together. Only rows of repeated ids are shuffled for it.
     """
     verdict = components(docs.select("doc_id", "text"), k, percent)
     gone = cut(verdict.where("NOT kept").select(F.col("doc_id").alias("_w_gone")).distinct())
+    twice = cut(docs.groupBy(F.col("doc_id").alias("_w_twice")).agg(F.count("*").alias("_w_n")).where("_w_n > 1").select("_w_twice"))
     gone = F.broadcast(gone) if small_enough(gone, BROADCAST) else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_w_gone"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("_w_gone"), "left_anti")
+    if twice.isEmpty():
+        return left
+    again = F.broadcast(twice) if small_enough(twice, BROADCAST) else twice
+    same = F.col("doc_id").eqNullSafe(F.col("_w_twice"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 OP4_SQL = r"""

@@ -159,6 +159,7 @@ def learn(metrics: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> D
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Measures, cutoffs and verdicts of all documents; nulls, repeated rows and empty tables as in measured and judge."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     metrics = cut(measured(docs).drop("text"))
     limits = cut(learn(metrics, table(spark, sf_dir, "labels")))

@@ -14,12 +14,23 @@ HOST_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
+_PARAMETERS = (
+    "gclid", "fbclid", "msclkid", "dclid", "yclid", "mc_eid", "igshid", "phpsessid", "jsessionid", "sessid", "csrftoken", "nonce", "returnurl", "returnto", "continueurl", "affid", "affiliateid",
+    "clickid", "trackingid", "campaignid", "adgroupid", "utm_medium", "utm_campaign", "utm_term", "utm_content", "replytocom", "printable", "sortby", "orderby", "addtocart", "wishlist",
+)
+_PATHS = (
+    "wp-login", "wp-json", "xmlrpc", "cgi-bin", "signup", "register", "logout", "signout", "basket", "wishlist", "myaccount", "unsubscribe", "optout", "trackback", "pingback", "printfriendly", "sitemap",
+    "autodiscover", "phpmyadmin", "administrator", "oauth2", "recover-password", "forgot-password", "resetpassword", "addtocart", "returnpolicy", "servlet", "webmail", "cpanel", "graphql",
+)
+_HOSTS = ("doubleclick", "adserver", "adservice", "pixel", "tracker", "telemetry", "analytics", "clickserve", "popunder", "bannerads", "affiliates", "sponsored", "casino", "torrent", "warez")
+_ENDINGS = ("exe", "msi", "dmg", "apk", "iso", "torrent", "woff2", "swf")
 #: Regular expressions over the lower-cased url; a url that one of them finds is blocked. Their literal words, of
 #: letters and digits, must stand in a url whole for the expression to match, so each is written between separators.
 PATTERNS = (
     r"[?&]utm_source=feed(&|#|$)", r"[?&]page=[0-9]+&ref=[a-z]+", r"://m\.[^/]*/de/", r"/(login|signin|cart|checkout)(/|\?|$)",
     r"://ads?\.[^/]*/", r"[?&]sessionid=[0-9a-f]{8,}", r"://blog\.[^/]*/[a-z]{2}/[0-9]+#top$", r"/wp-admin/",
     r"[?&]redirect=https?(:|%3a)", r"://[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+[:/]",
+    *(rf"[?&]{k}=[^&#]+" for k in _PARAMETERS), *(rf"/{k}(/|\?|#|$)" for k in _PATHS), *(rf"[/.]{k}\.[a-z.]+/" for k in _HOSTS), *(rf"\.{k}(\?|#|$)" for k in _ENDINGS),
 )
 #: Most rules that are broadcast; more are joined by shuffle.
 BROADCAST = 50_000
@@ -37,12 +48,31 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def literal_tokens(pattern: str) -> list[str]:
-    """Words of letters and digits that every match of a pattern holds whole: those outside classes, groups with
-    alternatives, quantified atoms and escapes, with a literal separator on both sides."""
+def _variants(pattern: str, most: int = 64) -> list[str]:
+    """A pattern with its literal alternatives and optional letters written out, one pattern a choice."""
     import re
 
-    flat = re.sub(r"\[[^\]]*\][*+?]?(\{[^}]*\})?", "\0", pattern)  # classes
+    done, open_ = [], [pattern]
+    while open_:
+        p = open_.pop()
+        group = re.search(r"\(([^()\[\]]*\|[^()\[\]]*)\)(?![*+?{])", p)
+        letter = re.search(r"(?<![\\\])])([a-z0-9])\?", p)
+        if len(done) + len(open_) > most or not (group or letter):
+            done.append(p)
+        elif group:
+            open_ += [p[: group.start()] + x + p[group.end() :] for x in re.split(r"(?<!\\)\|", group[1])]
+        else:
+            open_ += [p[: letter.start()] + x + p[letter.end() :] for x in (letter[1], "")]
+    return done
+
+
+def _literals(pattern: str) -> list[str]:
+    import re
+
+    flat = re.sub(r"\[[^\]a-z0-9^\\-]+\](?![*+?{])", "/", pattern)  # classes of separators only
+    flat = re.sub(r"\[[^\]]*\][*+?]?(\{[^}]*\})?", "\0", flat)  # other classes
+    flat = re.sub(r"\\[^a-zA-Z0-9]([*+?]|\{[^}]*\})", "\0", flat)
+    flat = re.sub(r"\\[^a-zA-Z0-9]", "/", flat)
     while True:  # groups with alternatives or a quantifier say nothing; others are read through
         new = re.sub(r"\(([^()|]*)\)(?![*+?{])", r"\1", flat)
         new = re.sub(r"\([^()]*\)[*+?]?(\{[^}]*\})?", "\0", new)
@@ -50,33 +80,49 @@ def literal_tokens(pattern: str) -> list[str]:
             break
         flat = new
     flat = re.sub(r"\\[a-zA-Z]", "\0", flat)
-    flat = re.sub(r"(\\.|.)([*+?]|\{[^}]*\})", "\0", flat)
-    flat = re.sub(r"\\(.)", r"\1", flat).replace("^", "\1").replace("$", "\1")
+    flat = re.sub(r"(.)([*+?]|\{[^}]*\})", "\0", flat)
+    flat = flat.replace("^", "\1").replace("$", "\1")
     return [m for m in re.findall(r"(?<![a-z0-9\0])[a-z0-9]+(?![a-z0-9\0])", flat)]
 
 
+def literal_choices(pattern: str) -> list[list[str]]:
+    """For each way to match a pattern, the words of letters and digits that every such match holds whole.
+
+    Alternatives and optional letters are written out; what is left in classes, groups, quantified atoms and escapes
+    says nothing. A word counts with a literal separator, or a class of separators, on both sides.
+    """
+    return [_literals(v) for v in _variants(pattern)]
+
+
+def literal_tokens(pattern: str) -> list[str]:
+    """The words that every match of a pattern holds whole, whichever way it matches."""
+    first, *rest = literal_choices(pattern)
+    return [t for t in first if all(t in r for r in rest)]
+
+
 def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(url, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def pattern_index(spark, patterns, frequency: DataFrame | None = None) -> DataFrame:
-    """(rule, pattern, token): each pattern under its rarest literal token, by the urls' own (token, n) if given.
+    """(rule, pattern, token): each pattern under the rarest literal token of each of its choices, by the urls' own
+    (token, n) if given.
 
-    A token no url has is the rarest. Patterns without a literal token have a null one: they run on every url.
+    A token no url has is the rarest. A pattern with a choice without a literal token has a null one alone: it runs on
+    every url. No patterns give an empty index.
     """
-    rows = [(i, p, t) for i, p in enumerate(patterns) for t in (literal_tokens(p) or [None])]
-    values = ", ".join(f"({i}, {_quote(p)}, {_quote(t)})" for i, p, t in rows)
-    rules = spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, pattern, token)")
+    rows = []
+    for i, p in enumerate(patterns):
+        choices = literal_choices(p)
+        choices = choices if all(choices) else [[None]]
+        rows += [(i, p, c, t) for c, ts in enumerate(choices) for t in ts]
+    rules = spark.createDataFrame(rows, "rule int, pattern string, choice int, token string")
     if frequency is not None:
         rules = rules.join(frequency, "token", "left")
     else:
         rules = rules.withColumn("n", F.lit(0))
-    first = Window.partitionBy("rule").orderBy(F.coalesce("n", F.lit(0)), F.desc(F.length("token")), "token")
-    return rules.withColumn("k", F.row_number().over(first)).where("k = 1").select("rule", "pattern", "token")
-
-
-def _quote(x) -> str:
-    return "CAST(NULL AS STRING)" if x is None else "r'" + x.replace("'", "\\'") + "'"
+    first = Window.partitionBy("rule", "choice").orderBy(F.coalesce("n", F.lit(0)), F.desc(F.length("token")), "token")
+    return rules.withColumn("k", F.row_number().over(first)).where("k = 1").select("rule", "pattern", "token").distinct()
 
 
 def token_frequency(urls: DataFrame, wanted: DataFrame, url_col: str = "url") -> DataFrame:
@@ -115,14 +161,15 @@ def judge(pages: DataFrame, patterns=PATTERNS, rules=HOST_RULES) -> DataFrame:
     """(page_id, url, host, path, rule, verdict), one row a page: the host rule's verdict, else the patterns'.
 
     Null urls have an empty host and path, fit no rule and are allowed. Pages that share an id are judged each by its
-    own url: what the patterns find is told by a hash of the url. Only ids are shuffled, and only those of pages with
-    a candidate rule.
+    own url. Distinct urls are shuffled once; those that a pattern finds are joined back, broadcast while they are few.
+    Without patterns, pages that no host rule fits are allowed. An empty table gives an empty one; other columns are
+    left out, so none can clash.
     """
     spark = pages.sparkSession
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    literals = sorted({t for p in patterns for t in literal_tokens(p)})
-    wanted = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({_quote(t)})" for t in literals or ["-"]) + " AS t(token)")
+    literals = sorted({t for p in patterns for c in literal_choices(p) for t in c})
+    wanted = spark.createDataFrame([(t,) for t in literals], "token string")
     index = cut(pattern_index(spark, patterns, token_frequency(rows, wanted)))
     distinct = rows.select(F.col("url").alias("_w_id"), "url").where("url IS NOT NULL").distinct()
     found = cut(matched(distinct, index).withColumn("_w_hit", F.lit(True)))
@@ -134,6 +181,7 @@ def judge(pages: DataFrame, patterns=PATTERNS, rules=HOST_RULES) -> DataFrame:
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
+    """judge over all pages; nulls, ties and empty tables as there."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 

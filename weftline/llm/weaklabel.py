@@ -9,7 +9,7 @@ from . import vector
 from .common import bounded_batches, cut, table
 
 #: Labellers of each target. A vote is 1 for bad, 0 for good, 2 for none.
-TARGETS = {"quality": ("plain", "letters", "symbols", "capitals", "bangs", "variety", "word_length", "lines"), "toxic": ("any_insult", "insults_a", "insults_b", "stems")}
+TARGETS = {"quality": ("letters", "symbols", "capitals", "bangs", "variety", "word_length", "lines"), "toxic": ("insults_a", "insults_b", "stems")}
 #: Two lists of insults that overlap, for two labellers.
 INSULTS_A = ("idiot", "idiots", "moron", "morons", "scum", "loser", "losers", "trash", "pathetic", "stupid", "worthless", "bastard", "imbecile", "dumbass")
 INSULTS_B = ("idiot", "moron", "scum", "loser", "clown", "disgusting", "pathetic", "stupid", "worthless", "filth", "vermin", "retard", "trash", "freak")
@@ -106,18 +106,15 @@ def _worker(stems, features: bool):
         owner = np.repeat(np.arange(n), np.diff(first))
         pre = np.stack([_prefixes(buf, s, e), _prefixes(buf, s, e, 7)])
         any_of = lambda hit: np.bincount(owner[hit], minlength=n) > 0
-        odd = {
-            "symbols": m["symbols"] > 0.01, "capitals": m["capitals"] > 0.5, "bangs": m["bangs"] > 0.2, "variety": m["variety"] < 0.5,
-            "word_length": (m["word_length"] > 8.5) | (m["word_length"] < 2.5), "lines": m["lines"] > 0.3,
-        }
-        plain = (m["symbols"] < 0.002) & (m["capitals"] < 0.2) & (m["bangs"] < 0.05) & (m["variety"] > 0.7) & (m["word_length"] > 3) & (m["word_length"] < 8) & (m["lines"] < 0.15)
+        has = {k: any_of(isin(h, v)) for k, v in lists.items()} | {"stems": any_of(isin(pre[0], stems) | isin(pre[1], stems))}
+        bounds = {"symbols": (0.01, 0.002), "capitals": (0.5, 0.2), "bangs": (0.2, 0.05), "lines": (0.3, 0.15)}
         votes = {
-            "plain": np.where(np.any(list(odd.values()), axis=0), 1, np.where(plain, 0, 2)).astype(np.int8),
             "letters": vote(m["letters"], lambda x: x < 0.9, lambda x: x > 0.95),
-            **{k: np.where(x, 1, 2).astype(np.int8) for k, x in odd.items()},
-            **{k: np.where(any_of(isin(h, v)), 1, 2).astype(np.int8) for k, v in lists.items()}, "stems": np.where(any_of(isin(pre[0], stems) | isin(pre[1], stems)), 1, 2).astype(np.int8),
+            **{k: vote(m[k], lambda x, bad=bad: x > bad, lambda x, good=good: x < good) for k, (bad, good) in bounds.items()},
+            "variety": vote(m["variety"], lambda x: x < 0.5, lambda x: x > 0.7),
+            "word_length": vote(m["word_length"], lambda x: (x > 8.5) | (x < 2.5), lambda x: (x > 3) & (x < 8)),
+            **{k: np.where(x, 1, 0).astype(np.int8) for k, x in has.items()},
         }
-        votes["any_insult"] = np.any([votes[k] == 1 for k in ("insults_a", "insults_b", "stems")], axis=0).astype(np.int8)
         codes = {t: [("".join(map(str, r))) for r in np.stack([votes[k] for k in names], axis=1)] for t, names in TARGETS.items()}
         return s, e, h, pre, owner, m, codes
 
@@ -192,8 +189,8 @@ def fit_accuracies(counts: list[tuple[str, int]], rounds: int = 60, prior: float
     votes_ = np.array([[int(c) for c in p] for p, _ in counts])
     n = np.array([c for _, c in counts], float)
     k = votes_.shape[1]
-    bad = np.tile([0.3, 0.7], (k, 1)).T  # chance of a vote 0, 1 given bad
-    good = np.tile([0.9, 0.1], (k, 1)).T
+    bad = np.tile([0.6, 0.4], (k, 1)).T  # chance of a vote 0, 1 given bad
+    good = np.tile([0.99, 0.01], (k, 1)).T
     for _ in range(rounds):
         post = _posterior(votes_, prior, good, bad)
         w, v = n * post, n * (1 - post)
@@ -257,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, training: int = TRAINING) -> Da
             per[r[t]] = per.get(r[t], 0) + r["count"]
         models[t] = fit_accuracies(sorted(per.items()))
     edge = cut(docs.select("doc_id").where("doc_id IS NOT NULL").select(F.xxhash64("doc_id", F.lit(11)).alias("k")).orderBy("k").limit(training)).agg(F.max("k")).first()[0]
-    sample = docs.where(F.xxhash64("doc_id", F.lit(11)) <= F.lit(edge if edge is not None else 0)).limit(2 * training)
+    sample = docs.where(F.xxhash64("doc_id", F.lit(11)) <= F.lit(edge if edge is not None else 0)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(2 * training)
 
     def posterior(t, codes):
         if not len(codes) or not models[t]["good"]:
@@ -306,4 +303,5 @@ def classify(docs: DataFrame, labels: DataFrame, training: int = TRAINING) -> Da
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """classify over all documents; nulls, repeated rows and empty tables as there."""
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
