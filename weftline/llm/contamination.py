@@ -72,7 +72,7 @@ def _signature_keys(index: dict, bits: int):
     return np.unique(value[least | (index["sizes"][item] < SHORT)])
 
 
-def _search(shared, share: float, k: int, text_at: int, names: list[str]):
+def _search(block, share: float, k: int, text_at: int, names: list[str]):
     import numpy as np
     import pyarrow as pa
 
@@ -101,7 +101,7 @@ def _search(shared, share: float, k: int, text_at: int, names: list[str]):
         return out
 
     def run(batches):
-        index, bits_of = shared.value, {}
+        index, bits_of = block.value, {}
         uniq, first = np.unique(index["value"], return_index=True)
         first = np.append(first, len(index["value"]))
         short = np.unique(index["value"][index["sizes"][index["item"]] < SHORT])
@@ -169,8 +169,8 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", share: flo
     schema = T.StructType([*(docs.schema[c] for c in own), *_FOUND.fields])
     for b in range(blocks):
         part = shingled if blocks == 1 else shingled.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(_index(part.toArrow()))
-        out = out.mapInArrow(_search(shared, share, k, schema.names.index(text_col), schema.names), schema)
+        held = spark.sparkContext.broadcast(_index(part.toArrow()))
+        out = out.mapInArrow(_search(held, share, k, schema.names.index(text_col), schema.names), schema)
     return out
 
 

@@ -32,7 +32,7 @@ LONG: tuple[tuple[str, str], ...] = (
 )
 #: Texts and notices by SPDX identifier; a key may have several.
 KNOWN: list[tuple[str, str]] = [
-    ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("MIT", _MIT),
+    ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("MIT", "The MIT License\n" + _MIT), ("MIT", _MIT),
     ("ISC", f"ISC License\n{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AS_IS}"),
     ("ISC", f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AS_IS}"),
     ("0BSD", f"{_GRANT}.\n{_AS_IS}"),

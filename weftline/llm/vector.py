@@ -107,7 +107,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     factor = np.uint64(0xD6E8FEB86659FD93)
     for j in range(k):
         take = np.zeros(n, np.uint64)
-        take[: n - j] = hashes[j:]
+        take[: max(n - j, 0)] = hashes[j:]
         take[left <= j] = 0
         width = width + np.uint64(1)
         out = out * factor + np.where(left > j, mix(take + width), np.uint64(0))
