@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .text import nfc
 
-FRACTIONS = {"½": 1 / 2, "¼": 1 / 4, "¾": 3 / 4, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 1 / 8, "⅜": 3 / 8, "⅝": 5 / 8, "⅞": 7 / 8}
+FRACTIONS = dict(zip("½¼¾⅓⅔⅛⅜⅝⅞", (a / b for a, b in ((1, 2), (1, 4), (3, 4), (1, 3), (2, 3), (1, 8), (3, 8), (5, 8), (7, 8))), strict=True))
 _GLYPHS = "".join(FRACTIONS)
-_TOKEN = rf"\d+/\d+|\d+\.\d+|\d+|[{_GLYPHS}]|\S+"
+_N = "[0-9]+"
+_TOKEN = rf"{_N}/{_N}|{_N}[.]{_N}|{_N}|[{_GLYPHS}]|\S+"
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,8 @@ class Units:
         """From a JSON registry with `symbols`, `systems` and `metadata`."""
         systems = doc.get("systems") or {}
         part = lambda key: {s: {k: float(v) for k, v in (r.get(key) or {}).items() if v is not None} for s, r in systems.items()}
-        symbols = {k: (v.get("kind", ""), tuple(v.get("aliases") or ())) for k, v in (doc.get("symbols") or {}).items()}
+        listed = doc.get("symbols") or {}
+        symbols = {name: (about.get("kind", ""), tuple(about.get("aliases") or ())) for name, about in listed.items()}
         return cls(symbols, part("absolute_grams"), part("absolute_ml"), (doc.get("metadata") or {}).get("default_system", next(iter(systems), "")))
 
     def aliases(self) -> dict[str, str]:
@@ -49,8 +51,8 @@ def parse_number(token: Column) -> Column:
     """2, 2.5, 2,5, 1/2, ½ and 2½ as doubles; else null, and null over zero."""
     t = F.trim(token)
     glyph = F.create_map(*(F.lit(x) for pair in FRACTIONS.items() for x in pair))
-    mixed = rf"^(\d+)([{_GLYPHS}])$"
-    ratio = r"^(\d+)\s*/\s*(\d+)$"
+    mixed = rf"^({_N})([{_GLYPHS}])$"
+    ratio = rf"^({_N})\s*/\s*({_N})$"
     number = lambda s: s.try_cast("double")
     return (
         F.when(F.try_element_at(glyph, t).isNotNull(), F.try_element_at(glyph, t))
@@ -85,7 +87,7 @@ def to_grams(text: Column, registry: Units, system: str | None = None, density:
     grams, ml = _map(registry.factors("mass", system), "double"), _map(registry.factors("volume", system), "double")
     atom = lambda n, s: F.struct(n.cast("double").alias("n"), s.cast("string").alias("s"))
     null = F.lit(None)
-    glued = r"^(.+?)(\d.*)$"
+    glued = "^(.+?)([0-9].*)$"
 
     def atoms(tok: Column) -> Column:
         own = F.try_element_at(alias, tok)

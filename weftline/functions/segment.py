@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import tokens
 
 #: A field separator, a daṇḍa or pipe, a period between no digits, a line that starts with a number.
-SENTENCE = r":-|[।॥|]|(?<!\d)\.(?!\d)|\n\s*(?=\d{1,3}[.)])"
+SENTENCE = r"[।॥|]|:-|(?<![0-9])[.](?![0-9])|\n\s*(?=[0-9]{1,3}[).])"
 CLAUSE = r",|\s=\s"
 _VIRAMA, _JOINER = "්", "‍"
 

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 BLANK = r"[ \t\n\r\f\x0B]"
 #: Genus names that are no genus but the start of a sentence, a place or an author.
-NO_GENUS = ("The", "This", "That", "See", "Name", "Comp", "Often", "Bombay", "Indian", "According", "Sanskrit", "Hindi", "Bengal", "Ceylon", "Linn", "Roxb", "Wall", "Willd", "Don", "Lam", "DC", "Nees", "Columba", "Coluber")
+NO_GENUS = tuple("DC Don Lam See The Comp Linn Name Nees Roxb That This Wall Hindi Often Willd Bengal Bombay Ceylon Indian Coluber Columba Sanskrit According".split())
+#: Small letters of epithets.
+_SMALL = "a-zæëïöü"
 
 
 def _normal(form: str):
@@ -75,13 +77,13 @@ def parse_substances(s: Column, stop: str | None = None) -> Column:
 
 def latin_binomials(s: Column, stop=NO_GENUS) -> Column:
     """`Genus species` pairs in a text, without those whose genus is in the stop list."""
-    found = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"\b([A-Z][a-zæëïöü]{2,})\s+([A-Z]?[a-z][a-zæëïöü]{2,})\b"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(rf"\b[A-Z][{_SMALL}]{{2,}}\s+[A-Z]?[a-z][{_SMALL}]{{2,}}\b"), F.lit(0))
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, BLANK + "+", " ")), lambda x: ~F.substring_index(x, " ", 1).isin(*stop))
 
 
 def parse_traditional(s: Column, keys: str = "abc") -> Column:
     """`(a) x (b) y` as a map from each key to its names, in order; a key without a name has an empty array."""
-    marked = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(rf"\(([{keys}])\)\s*([^()]+)(?=\([{keys}]\)|$)"), F.lit(0))
+    marked = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(rf"[(][{keys}][)][^)(]+(?=[(][{keys}][)]|$)"), F.lit(0))
     name = lambda x: strip(F.regexp_replace(x, rf"^\([{keys}]\)", ""), " ,\t\n")
     own = lambda k: F.filter(F.transform(F.filter(marked, lambda x: x.startswith(f"({k})")), name), lambda x: x != "")
     return F.create_map(*(c for k in keys for c in (F.lit(k), own(k))))

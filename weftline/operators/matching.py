@@ -64,7 +64,8 @@ def label(docs: DataFrame, id_col: str, words: Column, gazetteer: DataFrame, sec
 def quantities(text: Column, aliases: list[str], window: int = 8) -> Column:
     """Array of (unit, number): each unit in a text with the number within `window` characters after it, else before it."""
     names = "|".join(sorted((a.replace(".", r"\.") for a in aliases), key=len, reverse=True))
-    hit = rf"(?:(\d+(?:[./]\d+)?)[^\d]{{0,{window}}})?\b({names})\b(?:[^\d\n]{{0,{window}}}?(\d+(?:[./]\d+)?))?"
+    number = "([0-9]+(?:[/.][0-9]+)?)"
+    hit = rf"(?:{number}[^0-9]{{0,{window}}})?\b({names})\b(?:[^0-9\n]{{0,{window}}}?{number})?"
     part = lambda i: F.regexp_extract_all(text, F.lit(hit), F.lit(i))
     zipped = F.arrays_zip(part(1).alias("l"), part(2).alias("u"), part(3).alias("r"))
     return F.transform(zipped, lambda x: F.struct(x["u"].alias("unit"), F.coalesce(F.nullif(x["r"], F.lit("")), F.nullif(x["l"], F.lit(""))).alias("number")))

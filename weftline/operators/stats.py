@@ -174,7 +174,7 @@ def spearman(ranked: DataFrame, x: str, y: str, z: str | None = None) -> DataFra
     return c.select(F.col("xy").alias("rho"), part.alias("partial"))
 
 
-# -- Kneser-Ney -----------------------------------------------------------------------------------------------------
+# Kneser-Ney
 START, END, GLUE = "<s>", "</s>", " "
 
 

@@ -111,8 +111,8 @@ def rules(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """The rows of one list of a small YAML rule file."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        listed = (yaml.safe_load(f) or {}).get(field) or []
+    with open(path, "rb") as source:
+        listed = (yaml.safe_load(source) or {}).get(field) or []
     names = [c.split()[0] for c in schema.split(",")]
     return spark.createDataFrame([tuple(x.get(n) for n in names) for x in listed], schema)
 
