@@ -9,7 +9,7 @@ from . import vector
 from .common import bounded_batches, cut, table
 
 #: Labellers of each target. A vote is 1 for bad, 0 for good, 2 for none.
-TARGETS = {"quality": ("letters", "symbols", "capitals", "bangs", "variety", "word_length", "lines"), "toxic": ("insults_a", "insults_b", "stems")}
+TARGETS = {"quality": ("letters", "symbols", "capitals", "bangs", "variety", "echo", "word_length", "lines"), "toxic": ("insults_a", "insults_b", "stems")}
 #: Two lists of insults that overlap, for two labellers.
 INSULTS_A = ("idiot", "idiots", "moron", "morons", "scum", "loser", "losers", "trash", "pathetic", "stupid", "worthless", "bastard", "imbecile", "dumbass")
 INSULTS_B = ("idiot", "moron", "scum", "loser", "clown", "disgusting", "pathetic", "stupid", "worthless", "filth", "vermin", "retard", "trash", "freak")
@@ -40,7 +40,7 @@ def _measure(buf, at, starts, ends, first):
 
 
 def _variety(owner_hash, n):
-    """Share of a text's three-word shingles that are distinct."""
+    """Share of a text's shingles that are distinct."""
     import numpy as np
 
     owner, value = owner_hash
@@ -101,7 +101,7 @@ def _worker(stems, features: bool):
         s, e, h = vector.words(buf, at)
         first = vector.spans(at, s)
         m = _measure(buf, at, s, e, first)
-        m["variety"] = _variety(vector.shingles(h, first, 3), n)
+        m["variety"], m["echo"] = (_variety(vector.shingles(h, first, k), n) for k in (3, 5))
         m["lines"] = _repeated_lines(buf, at)
         owner = np.repeat(np.arange(n), np.diff(first))
         pre = np.stack([_prefixes(buf, s, e), _prefixes(buf, s, e, 7)])
@@ -111,7 +111,7 @@ def _worker(stems, features: bool):
         votes = {
             "letters": vote(m["letters"], lambda x: x < 0.9, lambda x: x > 0.95),
             **{k: vote(m[k], lambda x, bad=bad: x > bad, lambda x, good=good: x < good) for k, (bad, good) in bounds.items()},
-            "variety": vote(m["variety"], lambda x: x < 0.5, lambda x: x > 0.7),
+            **{k: vote(m[k], lambda x: x < 0.5, lambda x: x > 0.7) for k in ("variety", "echo")},
             "word_length": vote(m["word_length"], lambda x: (x > 8.5) | (x < 2.5), lambda x: (x > 3) & (x < 8)),
             **{k: np.where(x, 1, 0).astype(np.int8) for k, x in has.items()},
         }
