@@ -186,3 +186,20 @@ def test_pipeline_drops_planted_copies_and_blanks(spark):
     planted = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, planted, DIR).collect()}
     assert 10**9 in left and not left & {10**9 + 1, 10**9 + 2}
+
+
+def test_hostile_licences_and_turns(spark):
+    from weftline.llm import chat
+
+    docs = spark.createDataFrame([(1, "MIT License", "x"), (1, "MIT License", "x"), (None, None, None), (2, "", ""), (3, "licence " * 40_000, None)], "doc_id long, text string, license string")
+    out = licenses.scan(docs)
+    assert out.count() == 5 and sorted(out.columns) == ["digest", "doc_id", "license", "notices", "text"]
+    turns = spark.createDataFrame([(None, None, None, None), (1, None, "user", ""), (1, 0, None, "<|im_end|>"), (1, 0, None, "<|im_end|>"), (2, 1, "assistant", "y " * 50_000), (2, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {None: 1, 1: 3, 2: 2} and got[2].loss_chars == 100_000 and got[1].loss_chars == 0
+
+
+def test_scores_of_an_empty_table(spark):
+    from weftline.llm import lm
+
+    assert lm.score(spark.createDataFrame([], "doc_id long, text string"), steps=2).count() == 0
