@@ -203,3 +203,12 @@ def test_scores_of_an_empty_table(spark):
     from weftline.llm import lm
 
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), steps=2).count() == 0
+
+
+def test_long_bands_reach_nearly_all_pairs_at_the_threshold():
+    rng, salts, hit = random.Random(0), [s % 2**64 for s in lines._SALTS], 0
+    for _ in range(600):  # 60 runs together, 48 of them shared
+        xs = [rng.getrandbits(64) for _ in range(60)]
+        equal = [min(x ^ s for x in xs[:54]) == min(x ^ s for x in xs[:48] + xs[54:]) for s in salts]
+        hit += any(all(equal[i] for i in band) for band in lines._LONG_BANDS)
+    assert hit >= 0.99 * 600
