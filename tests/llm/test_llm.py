@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import chat, contamination, lines, lm, mixing, neardup, queries, rules, urls, weaklabel
@@ -213,3 +214,28 @@ def test_pipeline_stages(spark):
         ws = (r.text or "").lower().split()
         own = {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
         assert not any(h and len(h & own) >= 0.8 * len(h) for h in held)
+
+
+def test_every_training_document_moves_the_model(spark):
+    # the weights don't depend on partitions, but on a single document
+    rows = [(i, " ".join(f"{zlib.crc32(f'{i} {k}'.encode()) % 300}" for k in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where(~lm.held_out(F.col("doc_id")))
+    n = docs.count()
+    models = []
+    for d in (docs, docs.repartition(5), docs.where("doc_id <> 59")):
+        model = lm.Model(np.ones(lm._VOCABULARY))
+        assert lm.train_on_all(model, d, 3) > 60 * (n - 1)
+        models.append(model.p)
+    assert all(np.allclose(models[0][k], models[1][k], atol=1e-5) for k in models[0])
+    assert any(not np.allclose(models[0][k], models[2][k], atol=1e-4) for k in models[0])
+
+
+def test_the_score_learns_from_all_training_documents(spark, monkeypatch):
+    seen = []
+    whole = lm.train_on_all
+    monkeypatch.setattr(lm, "train_on_all", lambda model, docs, copies, *more: seen.append((docs.count(), whole(model, docs, copies, *more))))
+    docs = spark.createDataFrame([(i, f"line {i} of text") for i in range(50)], "doc_id long, text string")
+    lm.score(docs, steps=2, training=3).collect()
+    free = docs.where(~lm.held_out(F.col("doc_id"))).count()
+    # four words and an end at least, each a target once
+    assert seen and seen[0][0] == free and seen[0][1] >= 5 * free

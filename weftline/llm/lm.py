@@ -15,8 +15,10 @@ FOLDS, HELD_OUT = 7, 2
 HEAVY = 1_000_000
 #: Width of the model, subword classes, length of a window and of the part of it that is context only.
 WIDTH, CLASSES, WINDOW, CONTEXT = 16, 64, 32, 8
-#: Documents that train the attention weights, by hash of the id, and steps of training.
+#: Documents that train the first attention weights, by hash of the id, and steps of that; all documents follow.
 TRAINING, STEPS = 1_500, 600
+#: Most copies of the model that learn from all training documents side by side, and training tokens of one.
+COPIES, SHARE = 64, 500_000
 #: Words whose subword ids a worker keeps (some 36 bytes each).
 BOOK = 500_000
 _VOCABULARY = 50258
@@ -243,13 +245,13 @@ class Model:
         np.exp(logits, out=logits)
         return own - np.log(logits.sum(axis=1)) + self.inside[goal]
 
-    def step(self, context, target, state, rate):
-        """One step of Adam on the mean loss of a batch of windows."""
+    def step(self, context, target, state, rate, places=None):
+        """One step of Adam on the mean loss of a batch of windows, at the places given or at all."""
         import numpy as np
 
         p = self.p
         x, q, k, v, a, both, hidden, logits = self.forward(context)
-        n = target.size
+        n = target.size if places is None else max(1, int(places.sum()))
         logits -= logits.max(axis=2, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(axis=2, keepdims=True)
@@ -258,6 +260,8 @@ class Model:
         d = prob
         np.put_along_axis(d, goal[..., None], np.take_along_axis(d, goal[..., None], 2) - 1, 2)
         d /= n
+        if places is not None:
+            d *= places[..., None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g = {"bias": d.sum(axis=(0, 1)), "out": flat(hidden).T @ flat(d)}
         dh = (d @ p["out"].T) * (hidden > 0)
@@ -288,29 +292,29 @@ def _causal():
     return np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def _windows(ids, close=None):
+def _windows(ids, close=None, overlap: int = CONTEXT):
     """Windows over a stream of texts: contexts, targets, and the places that each window scores.
 
     The texts end at the places `close` of the stream (one text without it); the id before each is the end of another.
-    Windows begin anew at each text, so none sees a neighbour. A window starts WINDOW - CONTEXT after the one before;
-    its first CONTEXT places are context only, except in a text's first, so every id is scored once. Place i of a
+    Windows begin anew at each text, so none sees a neighbour. A window starts WINDOW - overlap after the one before;
+    its first `overlap` places are context only, except in a text's first, so every id is scored once. Place i of a
     window sees the ids up to i and predicts the next.
     """
     import numpy as np
 
-    stride = WINDOW - CONTEXT
+    stride = WINDOW - overlap
     last = np.array([len(ids) - 1]) if close is None else np.asarray(close)
     begin = np.concatenate([[0], last[:-1]])
-    count = np.maximum(1, -(-(last - begin - CONTEXT) // stride))
+    count = np.maximum(1, -(-(last - begin - overlap) // stride))
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = (np.repeat(begin, count) + number * stride)[:, None] + np.arange(WINDOW)[None, :]
     end = np.repeat(last, count)[:, None]
-    places = (at < end) & ((np.arange(WINDOW)[None, :] >= CONTEXT) | (number == 0)[:, None])
+    places = (at < end) & ((np.arange(WINDOW)[None, :] >= overlap) | (number == 0)[:, None])
     return ids[np.minimum(at, end)], ids[np.minimum(at + 1, end)], places
 
 
 def train(model: Model, streams, steps: int = STEPS, batch: int = 256):
-    """Trains on windows drawn from a list of (ids, ends of texts); the last tenth of all is left for the mixture."""
+    """Trains on windows drawn from a list of (ids, ends of texts)."""
     import numpy as np
 
     parts = [_windows(s, close) for s, close in streams if len(s) > 8]
@@ -349,13 +353,63 @@ def _stream_scores(model: Model, stream, close, piece: int = 256):
     return out
 
 
+def train_on_all(model: Model, docs: DataFrame, copies: int, folder: str = TOKENIZERS, batch: int = 256) -> int:
+    """Goes on training the model on every text of (doc_id, text), each id a target once; gives their number.
+
+    The documents are dealt to copies of the model by hash of id and text. Each copy learns from all of its own in one
+    pass, in the order of the hash, so partitions and order of rows don't count; the weights are their mean by targets.
+    """
+    import numpy as np
+
+    start = docs.sparkSession.sparkContext.broadcast(model.state())
+    names = sorted(model.p)
+
+    def run(batches):
+        import pyarrow as pa
+
+        net, state, targets, last, seen = None, {}, 0, None, 0
+        rng = np.random.default_rng(5)
+        out = lambda: pa.record_batch([pa.array([last], pa.int32()), pa.array([targets], pa.int64()), pa.array([b"".join(net.p[k].astype(np.float32).tobytes() for k in names)], pa.binary())], ["copy", "targets", "weights"])
+        for table_ in batches:
+            of = table_.column(1).to_numpy()
+            if net is None:  # a partition is one copy's documents
+                last = int(of[0])
+                net = Model(state=start.value | {"p": {k: v.copy() for k, v in start.value["p"].items()}})
+                state = {"t": 0}
+            for _, _, buf, s, e, h, first in _text_groups(table_.column(0)):
+                stream, _, _, close, _ = _streams(h, first, *_encode_distinct(buf, s, e, h, folder))
+                context, target, places = _windows(stream, close, 0)
+                order = rng.permutation(len(context))
+                for i in range(0, len(order), batch):
+                    pick = order[i : i + batch]
+                    net.step(context[pick], target[pick], state, 0.003 / (1 + seen / 100) ** 0.5, places[pick])
+                    seen += 1
+                targets += int(places.sum())
+        if net is not None:
+            yield out()
+
+    rank = F.xxhash64("doc_id", "text")
+    dealt = docs.select("text", F.pmod(rank, F.lit(copies)).cast("int").alias("copy"), rank.alias("rank"))
+    dealt = dealt.repartitionById(copies, F.col("copy")).sortWithinPartitions("rank", "text").select("text", "copy")
+    found = sorted(dealt.mapInArrow(run, "copy int, targets long, weights binary").collect())
+    total = sum(r["targets"] for r in found)
+    if total:
+        mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["targets"] / total) for r in found)
+        at = 0
+        for k in names:
+            model.p[k] = mean[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
+            at += model.p[k].size
+    return total
+
+
 def score(docs: DataFrame, folder: str = TOKENIZERS, heavy: int = HEAVY, training: int = TRAINING, steps: int = STEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a row of (doc_id, text).
 
     Counts of words and of subword ids come from all training texts. The model of a text is a mixture, word by word:
     the attention model's probability of the word's subword ids, in windows that begin anew at each text,
-    and the share of the word among all words of the corpus; the weight is fitted on training texts. The
-    attention weights alone are trained on a bounded sample of training documents.
+    and the share of the word among all words of the corpus; the weight is that of a new word, V / (N + V) of all
+    training tokens N and words V. The attention weights begin with a bounded sample of training documents and then
+    learn from all of them (train_on_all).
 
     A scoring task holds the HEAVY most frequent words; known words beyond them and unknown ones, some percent of all
     tokens, go out with their attention log probability and meet their counts in a join, so both scores take in the
@@ -390,34 +444,20 @@ def score(docs: DataFrame, folder: str = TOKENIZERS, heavy: int = HEAVY, trainin
     model = Model(subwords)
     own = lambda ks, vs, h: _lookup(ks, vs, h)
 
+    train_docs = docs.where("NOT held_out").select("doc_id", "text")
     rank = F.xxhash64("doc_id", F.lit(5))
-    edge = cut(docs.where("NOT held_out").select(rank.alias("k")).orderBy("k").limit(training)).agg(F.max("k")).first()[0]
-    texts = docs.where("NOT held_out").where(rank <= F.lit(edge if edge is not None else 0)).orderBy("doc_id", "text").limit(2 * training).select("text").toArrow()["text"]
+    edge = cut(train_docs.select(rank.alias("k")).orderBy("k").limit(training)).agg(F.max("k")).first()[0]
+    texts = train_docs.where(rank <= F.lit(edge if edge is not None else 0)).orderBy("doc_id", "text").limit(2 * training).select("text").toArrow()["text"]
     groups = []
     for chunk in texts.chunks:
-        for lo, hi, buf, s, e, h, first in _text_groups(chunk):
-            groups.append((h, *_streams(h, first, *_encode_distinct(buf, s, e, h, folder))))
-    last = max(1, len(groups) // 10)
-    train(model, [(g[1], g[4]) for g in groups[:-last] or groups], steps)
-    share, mass = 0.5, float(total) or 1.0
-    tried = []
-    # the texts that fit the mixture need the counts of their rare words too
-    wanted = np.unique(np.concatenate([g[0].view(np.int64) for g in groups[-last:][:2]] or [np.zeros(0, np.int64)]))
-    asked = spark.createDataFrame([(int(k),) for k in wanted], "key long")
-    some = words.join(F.broadcast(asked), "key", "left_semi").unionByName(words.where(F.col("key") == END_HASH)).select("key", "n").distinct().toArrow()
-    some_key, some_n = some["key"].to_numpy(), some["n"].to_numpy()
-    order = np.argsort(some_key)
-    some_key, some_n = some_key[order], some_n[order]
-    for h, stream, begin, lengths, close, _ in groups[-last:][:2]:
-        logs = _stream_scores(model, stream, close)
-        # each word is left out of its own count, as these texts are among those counted
-        seen = np.concatenate([own(some_key, some_n, h.view(np.int64)), own(some_key, some_n, np.full(len(close), END_HASH))])
-        tried.append((np.exp(_word_logs(logs, begin, lengths, close)), np.maximum(seen - 1, 0) / mass))
-    if tried:
-        a, u = (np.concatenate(x) for x in zip(*tried, strict=True))
-        for _ in range(20):
-            part = share * a / (share * a + (1 - share) * u + 1e-300)
-            share = float(np.clip(part.mean(), 0.02, 0.98))
+        for _, _, buf, s, e, h, first in _text_groups(chunk):
+            stream, _, _, close, _ = _streams(h, first, *_encode_distinct(buf, s, e, h, folder))
+            groups.append((stream, close))
+    train(model, groups, steps)
+    train_on_all(model, train_docs, min(COPIES, 1 + total // SHARE), folder)
+    # the chance that a token's word is new, after Witten and Bell, is that of the attention model
+    mass = float(total) or 1.0
+    share = min(max(distinct / (total + distinct or 1), 0.02), 0.98)
     shared = spark.sparkContext.broadcast((key, n, model.state(), share))
     base = float(total + distinct + 1)
 
