@@ -212,3 +212,37 @@ def test_long_bands_reach_nearly_all_pairs_at_the_threshold():
         equal = [min(x ^ s for x in xs[:54]) == min(x ^ s for x in xs[:48] + xs[54:]) for s in salts]
         hit += any(all(equal[i] for i in band) for band in lines._LONG_BANDS)
     assert hit >= 0.99 * 600
+
+
+def test_long_bands_lose_at_most_five_in_a_thousand():
+    for union in (40, 200):
+        rng, salts, hit = random.Random(union), [s % 2**64 for s in lines._SALTS], 0
+        tenth = union // 10
+        for _ in range(1000):  # eight tenths of the runs shared
+            xs = [rng.getrandbits(64) for _ in range(union)]
+            equal = [min(x ^ s for x in xs[:-tenth]) == min(x ^ s for x in xs[: 8 * tenth] + xs[-tenth:]) for s in salts]
+            hit += any(all(equal[i] for i in band) for band in lines._LONG_BANDS)
+        assert hit >= 995
+
+
+def test_waves_share_every_key_that_two_lines_have(spark):
+    rng = random.Random(3)
+    # lists of unlike length, as lines of the two kinds of bands have: a key's place in them says nothing
+    held = {h: [rng.randrange(-60, 60) * 2**40 + rng.randrange(4) for _ in range(rng.choice((13, 24, 37)))] for h in range(200)}
+    sigs = spark.createDataFrame(list(held.items()), "h long, keys array<long>")
+    got = {(r.key, r.h, r.low, r.high) for k in range(lines.WAVES) for r in lines._shared(sigs, k).collect()}
+    by = {}
+    for h, keys in held.items():
+        for k in keys:
+            by.setdefault(k, set()).add(h)
+    assert got == {(k, h, min(hs), max(hs)) for k, hs in by.items() if len(hs) > 1 for h in hs}
+
+
+def test_shuffle_files_of_a_plan_that_is_over_are_dropped(spark):
+    from weftline.llm import common
+
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    out = [common.cut(spark.range(1000).repartition(7 + k, "id").groupBy((F.col("id") % 5).alias("k")).count()) for k in range(3)]
+    assert not held().isEmpty()
+    common.drop_shuffles(out[0])
+    assert held().isEmpty()
