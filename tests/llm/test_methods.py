@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,59 @@ def test_shuffle_files_of_a_plan_that_is_over_are_dropped(spark):
     assert not held().isEmpty()
     common.drop_shuffles(out[0])
     assert held().isEmpty()
+
+
+def test_steps_follow_the_gradient_of_the_loss():
+    from weftline.llm import lm
+
+    rng = np.random.default_rng(4)
+    ids, places = rng.integers(0, 5000, (6, lm.WINDOW + 1)), rng.random((6, lm.WINDOW)) < 0.7
+    context, target = ids[:, :-1], ids[:, 1:]
+    model = lm.Model(rng.integers(1, 900, lm._VOCABULARY))
+    loss = lambda: -(model.log_probs(context, target, places).astype(float) - model.inside[target[places]]).mean()
+    before = {k: v.copy() for k, v in model.p.items()}
+    state = {"t": 0}
+    model.step(context, target, state, 0.0, places)
+    for name in before:  # of the first step, m is a tenth of the gradient
+        slope, size = state[name][0] * 10, np.float32(0.01)
+        way = np.sign(slope) * size / np.sqrt(slope.size)
+        ends = []
+        for s in (1, -1):
+            model.p[name] = before[name] + s * way
+            ends.append(loss())
+        model.p[name] = before[name]
+        assert np.isclose(ends[0] - ends[1], 2 * float((slope * way).sum()), rtol=0.05, atol=2e-6), name
+
+
+def test_far_scores_stay_finite_and_causal():
+    from weftline.llm import lm
+
+    model = lm.Model(np.ones(lm._VOCABULARY))
+    for name, times in (("q", 400), ("k", 400), ("out", 300)):
+        model.p[name] = model.p[name] * np.float32(times)
+    ids = np.random.default_rng(5).integers(0, 5000, (4, lm.WINDOW))
+    score = model._attend(ids)[4]
+    assert np.allclose(score.sum(axis=2), 1, atol=1e-4) and not score[:, np.triu(np.ones((lm.WINDOW, lm.WINDOW)), 1) > 0].any()
+    logs = model.log_probs(ids, ids, np.ones(ids.shape, bool))
+    assert np.isfinite(logs).all() and logs.min() < -100
+
+
+def test_a_step_is_fast():
+    import time
+
+    from weftline.llm import lm
+
+    model, state = lm.Model(np.ones(lm._VOCABULARY)), {"t": 0}
+    ids = np.random.default_rng(6).integers(0, 50_000, (256, lm.WINDOW + 1))
+    some = np.random.default_rng(7).standard_normal((256, lm.WINDOW, lm.CLASSES)).astype(np.float32)
+
+    def least(f):
+        times = []
+        for _ in range(15):
+            began = time.perf_counter()
+            f()
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    lm._keep_memory()
+    assert least(lambda: model.step(ids[:, :-1], ids[:, 1:], state, 1e-4)) < 28 * least(lambda: np.exp(some - 1))

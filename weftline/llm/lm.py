@@ -215,10 +215,9 @@ class Model:
         q, k, v = np.split((x.reshape(-1, WIDTH) @ np.concatenate([p["q"], p["k"], p["v"]], axis=1)).reshape(*ids.shape, 3 * WIDTH), 3, axis=2)
         score = np.matmul(q, k.transpose(0, 2, 1))
         score *= np.float32(WIDTH**-0.5)
-        score += _causal()
-        score -= score.max(axis=2, keepdims=True)
-        np.exp(score, out=score)
-        score /= score.sum(axis=2, keepdims=True)
+        _exp(score, _causal())
+        score *= _causal()
+        score *= 1 / (score @ np.ones((WINDOW, 1), np.float32))
         return x, q, k, v, score, np.concatenate([x, np.matmul(score, v)], axis=2)
 
     def forward(self, ids):
@@ -239,11 +238,10 @@ class Model:
         hidden = np.maximum(self._attend(context)[-1][places] @ p["mlp"], 0)
         logits = hidden @ p["out"]
         logits += p["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
         goal = target[places]
-        own = logits[np.arange(len(goal)), self.cls[goal]].copy()
-        np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1)) + self.inside[goal]
+        own = logits[np.arange(len(goal)), self.cls[goal]]
+        shift = _exp(logits)
+        return own - shift - np.log(logits @ np.ones(CLASSES, np.float32)) + self.inside[goal]
 
     def step(self, context, target, state, rate, places=None):
         """One step of Adam on the mean loss of a batch of windows, at the places given or at all."""
@@ -251,32 +249,35 @@ class Model:
 
         p = self.p
         x, q, k, v, a, both, hidden, logits = self.forward(context)
-        n = target.size if places is None else max(1, int(places.sum()))
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        goal = self.cls[target]
-        loss = -np.log(np.take_along_axis(prob, goal[..., None], 2)).mean()
-        d = prob
-        np.put_along_axis(d, goal[..., None], np.take_along_axis(d, goal[..., None], 2) - 1, 2)
-        d /= n
-        if places is not None:
-            d *= places[..., None]
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"bias": d.sum(axis=(0, 1)), "out": flat(hidden).T @ flat(d)}
-        dh = (d @ p["out"].T) * (hidden > 0)
-        g["mlp"] = flat(both).T @ flat(dh)
-        db = dh @ p["mlp"].T
-        dx, ds = db[..., :WIDTH], db[..., WIDTH:]
-        da, dv = ds @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ ds
-        dz = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
-        for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(x).T @ flat(grad)
-            dx = dx + grad @ p[name].T
-        g["pos"] = dx.sum(axis=0)
+        share = np.full(target.size, 1 / target.size, np.float32) if places is None else (places.ravel() / max(1, int(places.sum()))).astype(np.float32)
+        d, at = flat(logits), (np.arange(target.size), self.cls[target].ravel())
+        own = d[at]
+        shift = _exp(d)
+        total = d @ np.ones(CLASSES, np.float32)
+        loss = (np.log(total) + shift - own).mean()
+        d *= (share / total)[:, None]
+        d[at] -= share
+        g = {"bias": np.ones(len(d), np.float32) @ d, "out": flat(hidden).T @ d}
+        dh = d @ p["out"].T
+        dh *= flat(hidden) > 0
+        g["mlp"] = flat(both).T @ dh
+        db = (dh @ p["mlp"].T).reshape(both.shape)
+        ds = np.ascontiguousarray(db[..., WIDTH:])
+        dv, dz = a.transpose(0, 2, 1) @ ds, ds @ v.transpose(0, 2, 1)
+        dz *= a
+        dz -= a * (dz @ np.ones((WINDOW, 1), np.float32))
+        dz *= np.float32(WIDTH**-0.5)
+        back = flat(np.concatenate([dz @ k, dz.transpose(0, 2, 1) @ q, dv], axis=2))
+        g["q"], g["k"], g["v"] = np.split(flat(x).T @ back, 3, axis=1)
+        dx = flat(db[..., :WIDTH]) + back @ np.concatenate([p["q"], p["k"], p["v"]], axis=1).T
+        g["pos"] = dx.reshape(x.shape).sum(axis=0)
         g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], self.slot[context].ravel(), flat(dx))
+        slots = self.slot[context].ravel().astype(np.int16)
+        order = np.argsort(slots, kind="stable")
+        slots = slots[order]
+        begin = np.flatnonzero(np.diff(slots, prepend=-1))
+        g["emb"][slots[begin]] = np.add.reduceat(dx[order], begin, axis=0)
         state["t"] += 1
         for name, grad in g.items():
             m, s = state.setdefault(name, [np.zeros_like(p[name]), np.zeros_like(p[name])])
@@ -286,10 +287,40 @@ class Model:
         return loss
 
 
+def _keep_memory() -> None:
+    """Has a worker's C library keep the memory of arrays that are freed: else every step asks the kernel for it anew."""
+    import ctypes
+
+    if vector._cache().setdefault("memory", None) is None:
+        vector._cache()["memory"] = True
+        try:
+            for option, size in ((-3, 32 << 20), (-1, 64 << 20)):  # from where on memory is mapped, and trimmed
+                ctypes.CDLL(None).mallopt(option, size)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def _causal():
     import numpy as np
 
-    return np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+    return np.tril(np.ones((WINDOW, WINDOW), np.float32))
+
+
+def _exp(x, keep=None):
+    """Makes x its exponential in place, of each row less what is returned: its greatest, or 0 where all are near 0.
+
+    Places of a row where keep is 0 don't count as its greatest."""
+    import numpy as np
+
+    shift = np.float32(0)
+    if x.size and not -60 < x.min() <= x.max() < 60:
+        if keep is not None:
+            x[..., keep == 0] = -1e9
+        shift = x.max(axis=-1, keepdims=True)
+        x -= shift
+        shift = shift[..., 0]
+    np.exp(x, out=x)
+    return shift
 
 
 def _windows(ids, close=None, overlap: int = CONTEXT):
@@ -367,6 +398,7 @@ def train_on_all(model: Model, docs: DataFrame, copies: int, folder: str = TOKEN
     def run(batches):
         import pyarrow as pa
 
+        _keep_memory()
         net, state, targets, last, seen = None, {}, 0, None, 0
         rng = np.random.default_rng(5)
         out = lambda: pa.record_batch([pa.array([last], pa.int32()), pa.array([targets], pa.int64()), pa.array([b"".join(net.p[k].astype(np.float32).tobytes() for k in names)], pa.binary())], ["copy", "targets", "weights"])
@@ -464,6 +496,7 @@ def score(docs: DataFrame, folder: str = TOKENIZERS, heavy: int = HEAVY, trainin
     def run(batches):
         import pyarrow as pa
 
+        _keep_memory()
         ks, ns, state, mix_share = shared.value
         net = Model(state=state)
         for batch in batches:
