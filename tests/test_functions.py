@@ -137,3 +137,17 @@ def test_graph_merges_do_not_depend_on_order(spark):
         nodes = spark.createDataFrame(rows[::-1] if part == 3 else rows, "id string, type string, props map<string,string>, seq int").repartition(part)
         got = {r.id: (r.type, r.props) for r in kg.merge_nodes(nodes).collect()}
         assert got == {"a": ("T1", {"k": "v", "n": "x"}), "b": ("T", {})}
+
+
+def test_binomials_end_where_sql_ends_words(spark, tmp_path):
+    import duckdb
+
+    from weftline import catalog
+
+    items = ["Erachü chöü.", "Erach chöü2", "éEnlich sche", "Und ungauä x", "The plant", "The\nplant Abc def", "Acorus  calamus\tx", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["latin_binomials"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["latin_binomials"](spark, str(tmp_path)).select("name", "n").collect()]
+    assert sorted(got) == sorted(want)
