@@ -178,9 +178,7 @@ def graph_counts(spark, sf_dir):
 @_c.frame("graph_ends", "SELECT CAST(0 AS BIGINT) AS n_missing, CAST(count(*) AS BIGINT) AS n_domain FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part)")
 def graph_ends(spark, sf_dir):
     """Edges that a schema with one wrong domain forbids, and edges without an end: none."""
-    from weftline.operators.shared import keep
-
-    nodes, edges = (keep(x) for x in _graph(spark, sf_dir))
+    nodes, edges = _graph(spark, sf_dir)
     allowed = [("CONTAINS", "Formula", "Ingredient"), ("IS_TYPE", "Formula", "PreparationType"), ("DOSED_WITH", "Formula", "Vehicle"), ("TREATS", "Formula", "Disease"), ("HAS_PROPERTY", "Ingredient", "Property"), ("SUBSTITUTES_FOR", "Formula", "Ingredient"), ("CO_OCCURS", "Ingredient", "Ingredient")]
     bad = kg.ends(nodes, edges, allowed)
     return bad.agg(F.count_if(F.col("why").isin("source missing", "target missing")).alias("n_missing"), F.count_if(F.col("why") == "domain").alias("n_domain"))
