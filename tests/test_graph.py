@@ -20,3 +20,18 @@ def test_ends_do_not_gather_edges_by_the_node_they_end_in(spark):
     assert {tuple(r) for r in bad.groupBy("why").count().collect()} == {("range", 2000)}
     plan = _physical(bad)
     assert "hashpartitioning(dst" not in plan and "LeftOuter, BuildRight" in plan
+
+
+def test_counts_of_edges_make_no_properties(spark):
+    """Ids and grams come of the different names and quantities; no place of a text goes to Python for them."""
+    plan = _physical(flows._graph(spark, DIR)[1].where("type = 'CONTAINS'").groupBy("type").count())
+    assert "Python" not in plan and "regexp_extract_all" not in plan
+
+
+def test_builder_makes_the_properties_it_made(spark):
+    nodes, edges = flows._graph(spark, DIR)
+    n, e = {r.id: r for r in nodes.collect()}, {(r.src, r.type, r.dst): r for r in edges.collect()}
+    assert (len(n), len(e)) == (1489, 7802)  # as counted when nodes and edges were merged by merge_nodes and merge_edges
+    hot = e["formula:o/0", "CONTAINS", "ingredient:HOT"]
+    assert hot.n == 1 and hot.props == {"grams": "48.0", "quantity": "4 tola", "quantity_kind": "gram", "unit": "tola"}
+    assert n["ingredient:HOT"].type == "Ingredient" and n["ingredient:HOT"].props == {"kind": "plant", "name": "HOT"}
