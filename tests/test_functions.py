@@ -151,3 +151,15 @@ def test_binomials_end_where_sql_ends_words(spark, tmp_path):
     want = con.execute(catalog.SQL["latin_binomials"]).fetchall()
     got = [tuple(r) for r in catalog.QUERIES["latin_binomials"](spark, str(tmp_path)).select("name", "n").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_a_text_of_very_many_sentences_takes_no_square_of_time(spark):
+    import time
+
+    n = 100_000
+    whole = "".join(f"s{i}, t. " for i in range(n))
+    df = spark.createDataFrame([(whole,)], "t string").repartition(1)
+    began = time.perf_counter()
+    s = df.select(segment.sentences(F.col("t")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last"), F.size(F.filter("s", lambda x: x["end"] - x["start"] != F.length(x["text"]))).alias("bad")).first()
+    assert (s.n, s.bad) == (n, 0) and s.last.text == f"s{n - 1}, t" and whole[s.last.start : s.last.end] == s.last.text
+    assert time.perf_counter() - began < 20
