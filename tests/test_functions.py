@@ -163,3 +163,9 @@ def test_a_text_of_very_many_sentences_takes_no_square_of_time(spark):
     s = df.select(segment.sentences(F.col("t")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last"), F.size(F.filter("s", lambda x: x["end"] - x["start"] != F.length(x["text"]))).alias("bad")).first()
     assert (s.n, s.bad) == (n, 0) and s.last.text == f"s{n - 1}, t" and whole[s.last.start : s.last.end] == s.last.text
     assert time.perf_counter() - began < 20
+
+
+def test_sentences_without_places_are_those_with(spark):
+    texts = ["", None, " . ", "a 2.5 b. c:- d | e", "x\n 12) y\n3. z", "é, b = c. ක්‍ෂ।\x0b", "no mark at all "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(segment.pieces(F.col("t"), segment.SENTENCE).alias("p"), F.transform(segment.sentences(F.col("t")), lambda x: x["text"]).alias("s")).collect()
+    assert all(r.p == r.s for r in rows) and rows[3].p == ["a 2.5 b", "c", "d", "e"]
