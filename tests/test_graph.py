@@ -35,3 +35,11 @@ def test_builder_makes_the_properties_it_made(spark):
     hot = e["formula:o/0", "CONTAINS", "ingredient:HOT"]
     assert hot.n == 1 and hot.props == {"grams": "48.0", "quantity": "4 tola", "quantity_kind": "gram", "unit": "tola"}
     assert n["ingredient:HOT"].type == "Ingredient" and n["ingredient:HOT"].props == {"kind": "plant", "name": "HOT"}
+
+
+def test_equal_quantities_are_read_once(spark):
+    """Grams are made of different texts: lines are counted by text before any goes to Python."""
+    from weftline import catalog
+
+    above, below = _physical(catalog.QUERIES["dosage_to_grams"](spark, DIR)).split("ArrowEvalPython", 1)
+    assert "Aggregate" in below and "Exchange" in below and "regexp_extract_all" not in below

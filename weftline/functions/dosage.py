@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .segment import let
 from .text import nfc
 
 FRACTIONS = dict(zip("½¼¾⅓⅔⅛⅜⅝⅞", (a / b for a, b in ((1, 2), (1, 4), (3, 4), (1, 3), (2, 3), (1, 8), (3, 8), (5, 8), (7, 8))), strict=True))
@@ -93,7 +94,7 @@ def to_grams(text: Column, registry: Units, system: str | None = None, density:
         own = F.try_element_at(alias, tok)
         head, tail = F.try_element_at(alias, F.regexp_extract(tok, glued, 1)), parse_number(F.regexp_extract(tok, glued, 2))
         pair = F.array(atom(null, head), atom(tail, null))
-        return F.when(parse_number(tok).isNotNull(), F.array(atom(parse_number(tok), null))).when(own.isNotNull(), F.array(atom(null, own))).otherwise(pair)
+        return let(parse_number(tok), lambda n: F.when(n.isNotNull(), F.array(atom(n, null))).when(own.isNotNull(), F.array(atom(null, own))).otherwise(pair))
 
     found = F.regexp_extract_all(nfc(text), F.lit(f"({_TOKEN})"), F.lit(1))
     flat = F.filter(F.flatten(F.transform(found, atoms)), lambda a: a["n"].isNotNull() | a["s"].isNotNull())
@@ -117,11 +118,15 @@ def to_grams(text: Column, registry: Units, system: str | None = None, density:
             F.when(k == "mass", p["n"] * g).when(k == "volume", p["n"] * v * density).otherwise(0.0).alias("g"), F.when(k == "volume", p["n"] * v).otherwise(0.0).alias("v"),
         )
 
-    done = F.filter(F.transform(pairs, weigh), lambda x: x["good"])
-    total = lambda field: F.aggregate(done, F.lit(0.0), lambda acc, x: acc + x[field])
     positive = lambda c: F.when(c > 0, c)
-    head = F.get(done, F.lit(0))
-    return F.struct(positive(total("g")).alias("grams"), positive(total("v")).alias("ml"), head["s"].alias("unit"), head["n"].alias("count"), F.size(done).alias("n_units"))
+
+    def figures(done: Column) -> Column:
+        total = lambda field: let(F.aggregate(done, F.lit(0.0), lambda acc, x: acc + x[field]), positive)
+        head = F.get(done, F.lit(0))
+        return F.struct(total("g").alias("grams"), total("v").alias("ml"), head["s"].alias("unit"), head["n"].alias("count"), F.size(done).alias("n_units"))
+
+    # bound once: each figure would read the text anew
+    return let(F.filter(F.transform(pairs, weigh), lambda x: x["good"]), figures)
 
 
 def system_fallback(wanted: DataFrame, factors: DataFrame, systems: list[str]) -> DataFrame:
