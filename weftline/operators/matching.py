@@ -18,12 +18,20 @@ def token_table(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
 def phrase_matches(docs: DataFrame, id_col: str, words: Column, phrases: DataFrame, phrase: str, longest: int) -> DataFrame:
     """(id, start, end, phrase): every place where the words of a listed phrase stand, overlaps included.
 
-    N-grams up to the longest phrase are made inside the row and joined to the list by hash; the list is broadcast by
-    the optimiser while it is small and shuffled beyond. Texts are never compared to phrases one by one.
+    Each word is a row with the words after it. Only words that start a listed phrase make n-grams, which are joined to
+    the list by hash; lists are broadcast by the optimiser while they are small and shuffled beyond. Texts are never
+    compared to phrases one by one.
     """
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.size("_w_ws")), lambda i: i + k <= F.size("_w_ws")), lambda i: F.struct(i.alias("start"), (i + k).alias("end"), F.array_join(F.slice("_w_ws", i + 1, k), " ").alias("gram")))))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("_w_ws")).select("id", F.explode(grams).alias("g")).select("id", "g.start", "g.end", "g.gram")
-    return rows.join(phrases.select(F.col(phrase).alias("gram")).distinct(), "gram").select("id", "start", "end", F.col("gram").alias("phrase"))
+    first = lambda c: F.substring_index(c, " ", 1)
+    listed = phrases.select(F.col(phrase).alias("gram")).where("gram IS NOT NULL").distinct()
+    starts = listed.select(first("gram").alias("head")).distinct()
+    ws = docs.select(F.col(id_col).alias("id"), words.alias("_w_ws"))
+    after = [F.slice("_w_ws", k + 1, F.greatest(F.size("_w_ws") - k, F.lit(0))).alias(f"w{k}") for k in range(longest)]
+    rows = ws.select("id", F.size("_w_ws").alias("n"), F.arrays_zip(*after).alias("g")).select("id", "n", F.posexplode("g").alias("start", "g")).select("id", "n", "start", "g.*")
+    rows = rows.withColumn("head", first(F.coalesce("w0", F.lit("")))).join(starts, "head", "left_semi")
+    gram = lambda k: F.when(F.col("start") + k <= F.col("n"), F.struct((F.col("start") + k).alias("end"), F.concat_ws(" ", *(f"w{i}" for i in range(k))).alias("gram")))
+    grams = rows.select("id", "start", F.explode(F.array(*(gram(k) for k in range(1, longest + 1)))).alias("g")).where("g IS NOT NULL").select("id", "start", "g.end", "g.gram")
+    return grams.join(listed, "gram").select("id", "start", "end", F.col("gram").alias("phrase"))
 
 
 def longest_matches(matches: DataFrame) -> DataFrame:
@@ -41,6 +49,21 @@ def uncovered(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return tokens.join(held, ["id", "at"], "left_anti")
 
 
+def count_uncovered(docs: DataFrame, id_col: str, words: Column, spans: DataFrame) -> DataFrame:
+    """(id, n): how many tokens of each id no span covers, where any is left; the counts of `uncovered` by id.
+
+    Tokens are counted where they stand; only the places that spans hold are shuffled, one row an id.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.size(words).alias("_w_n"))
+    held = spans.where("end > start").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("_w_s"))
+    places = F.array_distinct(F.flatten(F.transform("_w_s", lambda x: F.sequence(x["start"], x["end"] - 1))))
+    held = held.select("id", places.alias("_w_at"))
+    # an id that stands in several rows: each has its own length, all share the places
+    free = F.col("_w_n") - F.coalesce(F.size(F.filter("_w_at", lambda a: (a >= 0) & (a < F.col("_w_n")))), F.lit(0))
+    free = F.when(F.col("_w_at").isNull(), F.col("_w_n")).otherwise(free)
+    return own.join(held, "id", "left").groupBy("id").agg(F.sum(free.cast("long")).alias("n")).where("n > 0")
+
+
 def fill_free(spans: DataFrame, others: DataFrame) -> DataFrame:
     """The spans of a second source (id, start, end, ...) that overlap none of the first."""
     cells = lambda df: df.select("id", "start", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("at"))
