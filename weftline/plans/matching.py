@@ -61,8 +61,8 @@ SELECT t.doc_id, count(*) AS n_free FROM t LEFT JOIN c ON c.doc_id = t.doc_id AN
 """)
 def anti_unmatched_tokens(spark, sf_dir):
     """Tokens of each document that no listed phrase covers."""
-    toks = matching.token_table(_t(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")))
-    return matching.uncovered(toks, _matches(spark, sf_dir)).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_free"))
+    free = matching.count_uncovered(_t(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")), _matches(spark, sf_dir))
+    return free.select(F.col("id").alias("doc_id"), F.col("n").alias("n_free"))
 
 
 @_c.frame("nil_triage", f"""
