@@ -303,3 +303,29 @@ def test_a_step_is_fast():
 
     lm._keep_memory()
     assert least(lambda: model.step(ids[:, :-1], ids[:, 1:], state, 1e-4)) < 28 * least(lambda: np.exp(some - 1))
+
+
+def test_pairs_of_large_buckets_that_are_far_apart_meet_no_text(spark):
+    """Two lines that share a rare run and little else are no candidates; those that are similar all are."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from weftline.llm import lines
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(30)]
+        texts += [" ".join(w if rng.random() > share else word() for w in base) for share in (0, 0, 0.03, 0.05, 0.3, 0.4, 0.5)]
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = lines.signatures(docs)
+    got = {frozenset(p) for p in lines._prefixed(sigs.select("h", F.col("h").alias("part")), sigs, docs).collect()}
+    own = {r.h: texts[r.doc_id] for r in sigs.select("h", "doc_id").collect()}
+    runs = {h: {t[i : i + 5] for i in range(len(t) - 4)} for h, t in own.items()}
+    alike = lambda a, b: len(runs[a] & runs[b]) / len(runs[a] | runs[b])
+    every = {frozenset((a, b)): alike(a, b) for a in runs for b in runs if a < b}
+    assert {p for p, s in every.items() if s >= 0.8} <= got and any(s >= 0.8 for s in every.values())
+    assert not [p for p in got if every[p] < 0.4] and len(got) < sum(s > 0.1 for s in every.values()) / 2
